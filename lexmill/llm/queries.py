@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import raters, terms, topn
+from lexmill.llm import raters, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -32,6 +32,18 @@ def p3_top20(spark: SparkSession, d: str) -> DataFrame:
     return _by_seed(spark, d, 20)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = vectors.similar_pairs(table(spark, d, "members"), "member_id", "member_matrix", "member_passage_id", 0.95)
+    return pairs.select(F.col("a").alias("member_a"), F.col("b").alias("member_b"))
+
+
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar members of every member whose id is divisible by 100, against all members."""
+    rows = table(spark, d, "members")
+    found = vectors.nearest(rows, rows.where("member_id % 100 = 0"), "member_id", "member_matrix", "member_passage_id", 10)
+    return found.select(F.col("query").alias("member_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 4).alias("cosine"), "rank")
+
+
 def _consensus(spark: SparkSession, d: str) -> raters.Consensus:
     return raters.spectral_consensus(table(spark, d, "lean_view"), ["uid", "passage_id"], "annotator", "label", "best_ability_code", "judged_at")
 
@@ -74,7 +86,14 @@ others AS (SELECT rater, label, CASE WHEN f > i AND f > o THEN 'folk_description
 raters AS (SELECT rater, count(*) AS n_votes, count(top) AS n_compared, count(*) FILTER (top = label) AS n_agreed, coalesce(count(*) FILTER (top = label) >= 0.6 * count(top) AND count(top) > 0, false) AS reliable FROM others GROUP BY 1)
 """
 
+_VECTORS = """
+WITH v AS (SELECT member_id, any_value(member_passage_id) AS pid, any_value(member_matrix)::DOUBLE[] AS m FROM members WHERE member_matrix IS NOT NULL GROUP BY 1),
+ok AS (SELECT member_id, pid, m, sqrt(list_inner_product(m, m)) AS len FROM v WHERE list_inner_product(m, m) > 0)
+"""
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p1_terms": p1_terms,
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -85,6 +104,14 @@ QUERIES = {
 }
 
 SQL = {
+    "p5_found": _VECTORS
+    + """SELECT a.member_id AS member_a, b.member_id AS member_b FROM ok a JOIN ok b ON a.member_id < b.member_id AND a.pid <> b.pid
+WHERE list_inner_product(a.m, b.m) / (a.len * b.len) >= 0.95""",
+    "p5_nearest": _VECTORS
+    + """, c AS (SELECT a.member_id, b.member_id AS neighbour_id, least(1.0, list_inner_product(a.m, b.m) / (a.len * b.len)) AS cosine
+  FROM ok a JOIN ok b ON a.member_id <> b.member_id AND a.pid <> b.pid WHERE a.member_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY cosine DESC, neighbour_id) AS rank FROM c)
+SELECT member_id, neighbour_id, round(cosine, 4) AS cosine, rank FROM r WHERE rank <= 10""",
     "p1_terms": _TERMS
     + """SELECT c.passage_id, c.term, c.tf, s.df, s.cf, l.doc_len,
   round(((c.tf + 200 * (s.cf / n)) / (l.doc_len + 200)) * ln(((c.tf + 200 * (s.cf / n)) / (l.doc_len + 200)) / (s.cf / n)), 6) AS score
