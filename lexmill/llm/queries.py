@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import raters, terms, topn, vectors
+from lexmill.llm import clusters, raters, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -44,6 +44,20 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query").alias("member_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 4).alias("cosine"), "rank")
 
 
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_clusters(table(spark, d, "members"), "member_id", "member_uid", "member_matrix", 0.6, 5)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d).select("cluster_id", F.col("member").alias("member_id"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size, cohesion and the three most typical members of each cluster."""
+    typical = {f"typical_{k}": F.max(F.when(F.col("rank") == k, F.col("member"))) for k in (1, 2, 3)}
+    return _clusters(spark, d).groupBy("member_uid", "cluster_id", "size").agg(F.round(F.avg("affinity"), 4).alias("cohesion"), *(c.alias(k) for k, c in typical.items()))
+
+
 def _consensus(spark: SparkSession, d: str) -> raters.Consensus:
     return raters.spectral_consensus(table(spark, d, "lean_view"), ["uid", "passage_id"], "annotator", "label", "best_ability_code", "judged_at")
 
@@ -98,6 +112,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_top20": p3_top20,
+    "p6_found": p6_found,
+    "p6_clusters": p6_clusters,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_raters": p7_raters,
