@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import clusters, raters, terms, topn, vectors
+from lexmill.llm import clusters, raters, stuffing, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -75,6 +75,14 @@ def p7_raters(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).raters.select("rater", "n_votes", "n_compared", "n_agreed", "reliable")
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
 _TERMS = """
 WITH docs AS (SELECT passage_id, min(text) AS text FROM lean_view WHERE passage_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
 runs AS (SELECT passage_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM docs),
@@ -117,6 +125,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_raters": p7_raters,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 
 SQL = {
