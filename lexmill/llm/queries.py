@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import clusters, raters, stuffing, terms, topn, vectors
+from lexmill.llm import clusters, leakage, raters, stuffing, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -75,6 +75,14 @@ def p7_raters(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).raters.select("rater", "n_votes", "n_compared", "n_agreed", "reliable")
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -125,6 +133,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_raters": p7_raters,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
 }
