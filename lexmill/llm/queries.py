@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import clusters, leakage, raters, stuffing, terms, topn, vectors
+from lexmill.llm import abuse, clusters, leakage, packing, raters, stuffing, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -19,6 +19,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scored.where("tf >= 2 AND df BETWEEN 2 AND 15 AND length(term) >= 4").select("passage_id", "term")
 
 
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "lean_view"), "passage_id", "text").withColumn("score", F.round("score", 4))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "lean_view"), "passage_id", "text").where(F.col("score") >= 0.6).select("passage_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lean_view")
+    return abuse.source_rates(abuse.abuse_scores(rows, "passage_id", "text"), rows, "passage_id", "source")
+
+
 def _by_seed(spark: SparkSession, d: str, n: int) -> DataFrame:
     rows = table(spark, d, "lean_view").select(blank_to_null("seed_id").alias("seed_id"), "passage_id", "hybrid_score")
     return topn.top_n(rows, "seed_id", "passage_id", "hybrid_score", n)
@@ -75,6 +88,10 @@ def p7_raters(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d).raters.select("rater", "n_votes", "n_compared", "n_agreed", "reliable")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", capacity=2048)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -126,6 +143,9 @@ QUERIES = {
     "p5_nearest": p5_nearest,
     "p1_terms": p1_terms,
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_top20": p3_top20,
     "p6_found": p6_found,
@@ -133,6 +153,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p7_raters": p7_raters,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
