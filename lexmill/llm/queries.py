@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import blank_to_null
-from lexmill.llm import abuse, clusters, leakage, packing, raters, stuffing, terms, topn, vectors
+from lexmill.llm import abuse, clusters, leakage, packing, personal, raters, stuffing, terms, topn, vectors
 from lexmill.runtime import table
 
 
@@ -32,6 +32,16 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(abuse.abuse_scores(rows, "passage_id", "text"), rows, "passage_id", "source")
 
 
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.entities(table(spark, d, "lean_view"), "passage_id", "text")
+    return found.select("passage_id", "redacted", F.size("found").alias("n_found"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = personal.entities(table(spark, d, "lean_view"), "passage_id", "text")
+    return found.select("passage_id", F.explode(F.array_distinct("found")).alias("kind"))
+
+
 def _by_seed(spark: SparkSession, d: str, n: int) -> DataFrame:
     rows = table(spark, d, "lean_view").select(blank_to_null("seed_id").alias("seed_id"), "passage_id", "hybrid_score")
     return topn.top_n(rows, "seed_id", "passage_id", "hybrid_score", n)
@@ -146,6 +156,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_scores": p2_scores,
     "p2_rates": p2_rates,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p3_found": p3_found,
     "p3_top20": p3_top20,
     "p6_found": p6_found,
