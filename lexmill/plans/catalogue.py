@@ -1,4 +1,6 @@
 """The engine's own queries by name, and the SQL each must equal."""
 
-QUERIES = {}
-SQL = {}
+from lexmill.plans import corpus, labels, structure
+
+QUERIES = {**corpus.QUERIES, **labels.QUERIES, **structure.QUERIES}
+SQL = {**corpus.SQL, **labels.SQL, **structure.SQL}
