@@ -103,8 +103,7 @@ def soft_labels(votes: DataFrame, anchor: str = "uid") -> DataFrame:
     own = (F.col("label") == FOLK) & (F.col("code") == F.col(anchor))
     inc = F.col("label") == INCIDENTAL
     share = lambda c: F.avg(F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0))
-    s = votes.groupBy("uid", "passage_id").agg(F.count(F.lit(1)).alias("n_raters"), share(own).alias("p_folk"), share(inc).alias("p_inc"))
-    s = s.withColumn("p_off", 1 - F.col("p_folk") - F.col("p_inc"))
+    s = votes.groupBy("uid", "passage_id").agg(F.count(F.lit(1)).alias("n_raters"), share(own).alias("p_folk"), share(inc).alias("p_inc"), share(~F.coalesce(own | inc, F.lit(False))).alias("p_off"))
     top = F.greatest("p_folk", "p_inc", "p_off") - 1e-12
     return s.withColumn("label", F.when(F.col("p_folk") >= top, FOLK).when(F.col("p_inc") >= top, INCIDENTAL).otherwise(OFF))
 

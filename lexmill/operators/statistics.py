@@ -9,20 +9,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexmill.runtime import cut
+
 
 def global_rank(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
     """Adds ``rank_avg``: ascending rank with ties averaged, over the whole table.
 
     Counts per distinct value, then running sums within value ranges and over ranges, so no task sorts all rows.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).where(F.col(value).isNotNull())
-    ranged = counts.repartitionByRange(parts, value).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(value)
-    local = ranged.withColumn("_c", F.sum("_n").over(w))
-    totals = local.groupBy("_p").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_b", F.sum("_t").over(Window.partitionBy(F.lit(1)).orderBy("_p")) - F.col("_t"))  # at most ``parts`` rows
-    ranks = local.join(F.broadcast(before), "_p").select(F.col(value).alias("_v"), (F.col("_b") + F.col("_c") - (F.col("_n") - 1) / 2).alias("rank_avg"))
-    return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_gr_v")).agg(F.count(F.lit(1)).alias("_gr_n"))
+    ranged = cut(counts.repartitionByRange(parts, "_gr_v").withColumn("_gr_p", F.spark_partition_id()))  # ids must stay
+    local = ranged.withColumn("_gr_c", F.sum("_gr_n").over(Window.partitionBy("_gr_p").orderBy("_gr_v")))
+    totals = local.groupBy("_gr_p").agg(F.sum("_gr_n").alias("_gr_t"))
+    before = totals.select("_gr_p", (F.sum("_gr_t").over(Window.partitionBy(F.lit(1)).orderBy("_gr_p")) - F.col("_gr_t")).alias("_gr_b"))  # at most ``parts`` rows
+    ranks = local.join(F.broadcast(before), "_gr_p").select("_gr_v", (F.col("_gr_b") + F.col("_gr_c") - (F.col("_gr_n") - 1) / 2).alias("rank_avg"))
+    return df.join(ranks, F.col(value) == F.col("_gr_v")).drop("_gr_v")
 
 
 def average_rank(value: str, *partition: str) -> Column:
@@ -79,7 +80,7 @@ def bh_qvalues(df: DataFrame, p: str, parts: int = 64) -> DataFrame:
     Works on distinct p values: ranks and running minima are found per value range and carried between ranges.
     """
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    local = counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
+    local = cut(counts.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id()))  # ids must stay
     one = Window.partitionBy(F.lit(1))  # over at most ``parts`` rows
     local = local.withColumn("_c", F.sum("_n").over(Window.partitionBy("_p").orderBy("_v")))
     sums = local.groupBy("_p").agg(F.sum("_n").alias("_t"))

@@ -40,8 +40,10 @@ def block_top_k(queries: DataFrame, rows: DataFrame, k: int, apart: bool = False
     are cut into blocks whose sizes are counted first; each pair of blocks is a matrix product in one task, whose
     best k are merged by rank. Ties go to the smaller id. Fewer than k come out where there are no more.
     """
-    q = queries.select("id", "v", *(["p"] if apart else []))
-    r = rows.select("id", "v", *(["p"] if apart else []), *([by] if by else []))
+    # New names for the columns: both sides may come from one table.
+    fresh = lambda df, cols: df.select(*(F.col(c).alias(c) for c in cols))
+    q = fresh(queries, ["id", "v", *(["p"] if apart else [])])
+    r = fresh(rows, ["id", "v", *(["p"] if apart else []), *([by] if by else [])])
     q, r = cut(q), cut(r)
     nq, nr = (max(1, math.ceil(x.count() / block)) for x in (q, r))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -131,7 +133,7 @@ def debias(queries: DataFrame, vector: str, axes: int = 2, most: int = 100_000)
 
     @F.pandas_udf("array<double>")
     def turn(col: pd.Series) -> pd.Series:
-        x = np.array(col.tolist(), dtype=np.float64) - m
+        x = np.array([m if v is None else v for v in col], dtype=np.float64) - m  # what is null stays null below
         x -= (x @ top) @ top.T
         length = np.linalg.norm(x, axis=1, keepdims=True)
         return pd.Series((x / np.where(length > 0, length, 1)).tolist())

@@ -28,8 +28,9 @@ _COVER = VOTES + f""", c AS (SELECT uid, rater, count(*) AS n, avg((label = 'fol
   avg((label = 'off_topic')::INT) AS off, avg((label = 'folk_description' AND NOT {_OWN})::INT) AS nb, avg((label = 'folk_description')::INT) AS folk_any FROM votes GROUP BY 1, 2),
 m AS (SELECT uid, count(*) AS n_raters, avg(prev) AS prev, avg(inc) AS inc, avg(off) AS off, avg(nb) AS nb FROM c GROUP BY 1),
 t AS (SELECT *, CASE WHEN prev >= 0.1 THEN 'high' WHEN prev > 0 THEN 'sparse' ELSE 'none' END AS tier FROM m)"""
-_SOFT = VOTES + """, soft0 AS (SELECT uid, passage_id, count(*) AS n_raters, avg(coalesce(label = 'folk_description' AND code = uid, false)::INT) AS p_folk, avg((label = 'incidental_mention')::INT) AS p_inc FROM votes GROUP BY 1, 2),
-soft AS (SELECT *, 1 - p_folk - p_inc AS p_off, CASE WHEN p_folk >= greatest(p_folk, p_inc, 1 - p_folk - p_inc) - 1e-12 THEN 'folk_description' WHEN p_inc >= greatest(p_folk, p_inc, 1 - p_folk - p_inc) - 1e-12 THEN 'incidental_mention' ELSE 'off_topic' END AS label FROM soft0)"""
+_SOFT = VOTES + """, soft0 AS (SELECT uid, passage_id, count(*) AS n_raters, avg(coalesce(label = 'folk_description' AND code = uid, false)::INT) AS p_folk, avg((label = 'incidental_mention')::INT) AS p_inc,
+  avg((NOT coalesce(label = 'folk_description' AND code = uid, false) AND label <> 'incidental_mention')::INT) AS p_off FROM votes GROUP BY 1, 2),
+soft AS (SELECT *, CASE WHEN p_folk >= greatest(p_folk, p_inc, p_off) - 1e-12 THEN 'folk_description' WHEN p_inc >= greatest(p_folk, p_inc, p_off) - 1e-12 THEN 'incidental_mention' ELSE 'off_topic' END AS label FROM soft0)"""
 
 
 def _pool(spark, d):
