@@ -24,8 +24,8 @@ def query(sql: str | None = None):
 
 
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_KNN = f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id // 3 <> b.vec_id // 3),
-knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
+_KNN = f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id // 3 <> b.vec_id // 3),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 def _vectors(spark, d):
@@ -39,7 +39,7 @@ def _knn(spark, d):
 
 @query(_KNN + " SELECT query, id, round(score, 6) AS score, rank FROM knn")
 def knn_excl_group(spark, d):
-    return _knn(spark, d).select("query", "id", F.round(F.round("score", 9), 6).alias("score"), "rank")
+    return _knn(spark, d).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label % 4 AS source, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 20),
