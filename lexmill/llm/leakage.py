@@ -87,8 +87,9 @@ def leaked_items(
     the fewest documents is an anchor. Postings of anchors are moved by the anchor's offset in the item, and
     those of one item are intersected: ``least`` different anchors within ``band`` positions make a candidate
     (a stretch of half an item holds several times as many). Candidates are matched around these positions, by
-    pairs of neighbours first, then word by word with words changed, dropped, added or misspelt. The items' terms
-    are sent to the workers if they are at most ``most_broadcast`` (counted first), else met in a shuffle.
+    pairs of neighbours first, then word by word with words changed, dropped, added or misspelt. What is
+    known of the items is sent to the workers if they have at most ``most_broadcast`` terms with repeats (counted
+    first), else met in a shuffle.
     """
     kind, ikind = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
     corpus = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL")
@@ -102,7 +103,7 @@ def leaked_items(
     wanted = cut(given.mapInPandas(tokens, f"_item {ikind}, _words array<string>, _pairs array<string>").where(F.size("_words") >= 4))
     places = wanted.select("_item", F.size("_words").alias("_n"), F.posexplode("_pairs").alias("_at", "_term"))
     terms = places.select("_term").distinct()
-    few = terms.count() <= most_broadcast
+    few = places.count() <= most_broadcast  # bounds the terms, the anchors and all words of the items
     known = frozenset(r[0] for r in terms.collect()) if few else None  # at most most_broadcast terms of the items
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
