@@ -46,7 +46,7 @@ def _hash(f: str) -> int:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every segment that could be an entity; they may overlap."""
     out: set[tuple[int, int, str]] = set()
-    if "@" in text or "at" in text:
+    if "@" in text or "at" in text.lower():
         for m in _EMAIL.finditer(text):
             start = m.start() + (7 if m.group(0)[:7].lower() == "mailto:" else 0)
             out.add((start, m.end(), "email"))
@@ -149,7 +149,7 @@ _CALLS = "call {p} after six|my number is {p} if you want to join|ring {p} and a
 _IDS = "my social security number is {i} by the way|the form even shows the SSN {i}|{i} was typed on the back of the sheet|insurance no. {i} is on file|my citizen ID is {i} and it was on the sheet|they asked for my ID card ({i}) at the door|the badge lists passport no. {i} in bold|passport {i} went missing that day|her NI number {i} leaked|ID: {i}"
 _LIVES = "I live at {a} and the door is open|come round to {a} on Friday|come round to {a}, {t} on Friday|the parcel sat outside {a} for days|we moved from {a} last spring|post it to {a}|post it to {a}, {t}|deliver to: {a}|the lessons are held at {a}|we practise at {a}, {t}|{a} is where it all began|the old workshop ({a}) is gone"
 _MEETS = "signed, {n}|thanks again to {n} for the chairs|ask {n} who taught me|it was {n} who showed us|the credit goes to {n}|the winner was {n} by a mile|{n} said so at the meeting|that was before {n} left the club|I learned it from {n} at school|nobody does it like {n}|my neighbour {n} came too|{n} just can't fold a paper plan|{n} is the one who can see it|I've noticed that {n} will turn it|you should see {n} juggle two lists|at the club, {n} could follow a quiet speaker|years ago, {n} could read it|in our house, {n} can write it|last winter, {n} could scale a recipe|{n} can do it in bad light|{n} could swap it|as a rule, {n} could name it|funny enough, {n} could hear it|to be fair, {n} could keep it"
-_DECOYS = "order No. {4}-{4}-{2} for spice jars came via {l}|and row {2}-{2}-{4} of the chart mentions {l}|the ticket {3} {3} {3} won at {l}|page {3} of the guide says 555 points beat {l}|the rematch at {l} ended {3}-{3}-{3} on 20{2}-04-11|it costs $5.55 or 0.{3} a page at {l}|call it 4 to 7 points, {3}-{2} at the very most, at {l}|@{u}_{2} posted about {l} at 10:30-11:45|chapter {2} Road signs is our favourite since {l}|we met on the corner of {w} Street near {l}|and my phone died at {l} and my passport photo is awful|XZ-{2} fits the {l} clock|On {w}: you should see it|Re: {w} - the dog came|a round of {w}. Women in the trial came|some {w} exercise because {w} is the only thing that sticks|part {4}{4} broke|{w}'s rules never change|on Tuesday. The bus was late|nobody asked the {w} lot|those {w} immigrants came|{w} women won|Every single time the bus came|A trick known as {w}. Our landlady came|I remember {l} mostly for the sandwiches|We were told so by the Tuesday Club|Update from {w} week|version {1}.{1}.{1} of the chart came out on {2}.{2}.|people swear by the {w} drill. Women in the trial came|tag #{w} and be done|{w}, day nine. My aunt came|HE MAKES ME SICK|Only A Fool Would Do That|model {2} {2} {2} is sold out|score 555-{4} in the game|it was {4} points in {2} games|the 12 {l} stamps came|Keep {w} women out|Keep the {w} lot out|Send {w} people back|this place was clean before {w} people crawled in|Never trust {w} men|YOU FILTHY IMBECILE|YOU WILL NEVER BE ANYTHING|AND THEY ARE RIGHT|NOBODY COULD LOVE THAT|KEEP TALKING M|LOG OFF FOREVER, STUPID FOOL|WHAT A PATHETIC LITTLE MAN YOU TURNED OUT TO BE|GO BACK UNDER YOUR ROCK|EVERYONE LAUGHS AT YOU|I HOPE YOU CHOKE ON IT|Those {w} people won|The {w} method is old|Our {w} drill began"
+_DECOYS = "order No. {4}-{4}-{2} for spice jars came via {l}|and row {2}-{2}-{4} of the chart mentions {l}|the ticket {3} {3} {3} won at {l}|page {3} of the guide says 555 points beat {l}|the rematch at {l} ended {3}-{3}-{3} on 20{2}-04-11|it costs $5.55 or 0.{3} a page at {l}|call it 4 to 7 points, {3}-{2} at the very most, at {l}|@{u}_{2} posted about {l} at 10:30-11:45|chapter {2} Road signs is our favourite since {l}|we met on the corner of {w} Street near {l}|and my phone died at {l} and my passport photo is awful|XZ-{2} fits the {l} clock|On {w}: you should see it|Re: {w} - the dog came|a round of {w}. Women in the trial came|some {w} exercise because {w} is the only thing that sticks|part {4}{4} broke|{w}'s rules never change|on Tuesday. The bus was late|nobody asked the {w} lot|those {w} immigrants came|{w} women won|Every single time the bus came|A trick known as {w}. Our landlady came|I remember {l} mostly for the sandwiches|We were told so by the Tuesday Club|Update from {w} week|version {1}.{1}.{1} of the chart came out on {2}.{2}.|people swear by the {w} drill. Women in the trial came|tag #{w} and be done|{w}, day nine. My aunt came|HE MAKES ME SICK|Only A Fool Would Do That|model {2} {2} {2} is sold out|score 555-{4} in the game|it was {4} points in {2} games|the 12 {l} stamps came|Keep {w} women out|Keep the {w} lot out|Send {w} people back|this place was clean before {w} people crawled in|Never trust {w} men|YOU FILTHY IMBECILE|YOU WILL NEVER BE ANYTHING|AND THEY ARE RIGHT|NOBODY COULD LOVE THAT|KEEP TALKING M|LOG OFF FOREVER, STUPID FOOL|WHAT A PATHETIC LITTLE MAN YOU TURNED OUT TO BE|GO BACK UNDER YOUR ROCK|EVERYONE LAUGHS AT YOU|I HOPE YOU CHOKE ON IT|Those {w} people won|The {w} method is old|Our {w} drill began|we stayed at home. {w} came later|she was good at chess. Nobody knew|take a look at it. I laughed|no use at first. We left at noon. {w} slept"
 _FILL = "the rain ruined the stock count|my aunt forgot tent poles again|nobody had watered the plants|they moved the lecture to Thursday because of a squeaky hinge|the heating failed around six|Honestly, my dentist came|We queued for the ferry|A crate of paper cups arrived|it cost next to nothing"
 
 
@@ -246,7 +246,10 @@ def find(text: str, w: np.ndarray) -> list[tuple[int, int, str]]:
     return [c[k] for k in best_path([float(w[x].sum()) for x in f], before)]
 
 
-_ANY = r"\d{2}|@|\b[aA][tT]\b.*\b[dD][oO][tT]\b|[\p{Lu}][\p{L}.'’-]* (?:[a-z]{2,3} )?[\p{Lu}]"
+def flat(text: str) -> tuple[str, list[int]]:
+    """The text with every run of white space as one space, and the place in ``text`` of each of its characters."""
+    kept = [k for k, c in enumerate(text) if not (c.isspace() and k and text[k - 1].isspace())]
+    return "".join(" " if text[k].isspace() else text[k] for k in kept), kept
 
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -258,7 +261,8 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Method: a semi-Markov conditional random field. Whole segments, proposed by their form, are scored as a kind
     by features of the segment and of what surrounds it; a dynamic programme over the segments, each of
-    bounded length, chooses boundaries and kinds together. Texts in which no segment can be proposed are passed by.
+    bounded length, chooses boundaries and kinds together. Every text is looked at; segments are sought with each
+    run of white space as one space, and replaced where they stand in the text itself.
     """
     w = weights()
     docs = one_text(df, key, text)
@@ -267,13 +271,14 @@ def entities(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found, clean = [], []
-            for t, possible in zip(pdf["_text"], pdf["_any"]):
-                e = find(re.sub(r"\s", " ", t), w) if possible else []
+            for t in pdf["_text"]:
+                plain, kept = flat(t)
+                e = find(plain, w)
                 found.append([k for _, _, k in e])
                 for s, end, k in reversed(e):
-                    t = f"{t[:s]}[{k.upper()}]{t[end:]}"
+                    t = f"{t[: kept[s]]}[{k.upper()}]{t[kept[end - 1] + 1 :]}"
                 clean.append(t)
             yield pd.DataFrame({"_key": pdf["_key"], "_text": pdf["_text"], "redacted": clean, "found": found})
 
-    out = docs.withColumn("_any", F.col("_text").rlike(_ANY)).mapInPandas(run, f"_key {kind}, _text string, redacted string, found array<string>")
+    out = docs.mapInPandas(run, f"_key {kind}, _text string, redacted string, found array<string>")
     return out.select(F.col("_key").alias(key), F.col("_text").alias(text), "redacted", "found")

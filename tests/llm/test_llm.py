@@ -99,6 +99,20 @@ def test_entities_are_replaced(spark):
     assert set(got) == {"1", "2", "3", "5"}
 
 
+def test_entities_that_a_narrow_filter_would_miss(spark):
+    data = [
+        ("1", "I learned it from Maren van der Kest at school.", "I learned it from [PERSON_NAME] at school.", ["person_name"]),
+        ("2", "Thanks\xa0 again to  Kora \t Venholm  for the  chairs.", "Thanks\xa0 again to  [PERSON_NAME]  for the  chairs.", ["person_name"]),
+        ("3", "Write to varn(at)mail.org for the sheets.", "Write to [EMAIL] for the sheets.", ["email"]),
+        ("4", "Send the answers to varn at\nmail\ndot org.", "Send the answers to [EMAIL].", ["email"]),
+        ("5", "I live at 77  Ellbrook\n Lane and the door is open.", "I live at [STREET_ADDRESS] and the door is open.", ["street_address"]),
+        ("6", "SEND THE ANSWERS TO VARN AT MAIL DOT ORG.", "SEND THE ANSWERS TO [EMAIL].", ["email"]),
+        ("7", "We did it without a map at all. My aunt was lost.", "We did it without a map at all. My aunt was lost.", []),
+    ]
+    got = {r.k: (r.redacted, r.found) for r in personal.entities(spark.createDataFrame([r[:2] for r in data], "k string, t string"), "k", "t").collect()}
+    assert got == {k: (clean, kinds) for k, _, clean, kinds in data}
+
+
 def test_entities_on_held_out_sentences():
     rng, w = np.random.default_rng(77), personal.weights()
     hit = said = real = 0
