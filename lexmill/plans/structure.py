@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import content_tokens
@@ -23,6 +25,18 @@ def query(sql: str | None = None):
     return add
 
 
+def searches(sql: str, most: int):
+    """Registers a query under its name on the query vectors below ``most``, as its SQL has them, and as NAME_all on all of them."""
+
+    def add(f):
+        n = f.__name__
+        QUERIES[n], SQL[n] = lambda spark, d: f(spark, d, f"id < {most}"), sql
+        QUERIES[f"{n}_all"], SQL[f"{n}_all"] = f, re.sub(rf" WHERE a\.vec_id < {most}(?: AND|(?=\)))", lambda m: " WHERE" if "AND" in m.group(0) else "", sql)
+        return f
+
+    return add
+
+
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _KNN = f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id // 3 <> b.vec_id // 3),
 knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10)"""
@@ -42,13 +56,13 @@ def knn_excl_group(spark, d):
     return _knn(spark, d).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label % 4 AS source, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 20),
+@searches(f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label % 4 AS source, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 20),
 r AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10),
 h AS (SELECT r.*, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END AS sparse FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id)
-SELECT query, id, source, rank, round(0.7 * score + 0.3 * sparse, 6) AS hybrid FROM h WHERE score >= 0.1""")
-def dense_topk_hybrid(spark, d):
+SELECT query, id, source, rank, round(0.7 * score + 0.3 * sparse, 6) AS hybrid FROM h WHERE score >= 0.1""", 20)
+def dense_topk_hybrid(spark, d, only="true"):
     x = _vectors(spark, d).withColumn("source", F.col("label") % 4)
-    top = V.block_top_k(x.where("id < 20"), x, 10, by="source").where(F.col("score") >= 0.1)
+    top = V.block_top_k(x.where(only), x, 10, by="source").where(F.col("score") >= 0.1)
     of = lambda c, k: x.select(F.col("id").alias(k), F.create_map(F.col("label"), F.lit(1.0)).alias(c))
     met = top.join(of("_a", "query"), "query").join(of("_b", "id"), "id")
     return met.select("query", "id", "source", "rank", V.hybrid(F.round("score", 9), V.sparse_dot("_a", "_b"), 0.3).alias("hybrid"))
@@ -76,11 +90,11 @@ def centroid_cosine(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(V.dot("_a", "_b") / (V.norm("_a") * V.norm("_b")), 6).alias("cosine"))
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 30),
-r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5) SELECT query, label, round(avg(score), 6) AS score FROM r GROUP BY 1, 2""")
-def mean_topk_cosine(spark, d):
+@searches(f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, b.label, round({_DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 30),
+r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5) SELECT query, label, round(avg(score), 6) AS score FROM r GROUP BY 1, 2""", 30)
+def mean_topk_cosine(spark, d, only="true"):
     x = _vectors(spark, d)
-    return V.block_top_k(x.where("id < 30"), x, 5, by="label").groupBy("query", "label").agg(F.round(F.avg(F.round("score", 9)), 6).alias("score"))
+    return V.block_top_k(x.where(only), x, 5, by="label").groupBy("query", "label").agg(F.round(F.avg(F.round("score", 9)), 6).alias("score"))
 
 
 _SCORES = f"""WITH s AS (SELECT a.vec_id AS query, a.label AS target, b.label, round({_DOT}, 9) AS score, b.vec_id AS id FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 60 AND a.vec_id <> b.vec_id),
@@ -88,46 +102,45 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC
 t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS pos, rank() OVER (PARTITION BY query ORDER BY score DESC) AS strict, count(*) OVER (PARTITION BY query) AS n FROM m)"""
 
 
-def _scores(spark, d):
+def _scores(spark, d, only):
     x = _vectors(spark, d).withColumn("p", F.col("id"))
-    top = V.block_top_k(x.where("id < 60"), x, 5, apart=True, by="label")
+    top = V.block_top_k(x.where(only), x, 5, apart=True, by="label")
     s = top.groupBy("query", "label").agg(F.round(F.avg(F.round("score", 9)), 6).alias("score"))
     return s.join(x.select(F.col("id").alias("query"), F.col("label").alias("target")), "query")
 
 
-@query(_SCORES + " SELECT query, pos AS rank_position, strict AS rank_strict, n FROM t WHERE label = target")
-def target_ranks(spark, d):
-    return T.target_ranks(_scores(spark, d), "query", "label", "score", "target")
+@searches(_SCORES + " SELECT query, pos AS rank_position, strict AS rank_strict, n FROM t WHERE label = target", 60)
+def target_ranks(spark, d, only="true"):
+    return T.target_ranks(_scores(spark, d, only), "query", "label", "score", "target")
 
 
-@query(_SCORES + " SELECT count(*) AS n_queries, round(avg((strict <= 1)::INT), 6) AS acc_at_1, round(avg((strict <= 5)::INT), 6) AS acc_at_5, round(avg(1.0 / strict), 6) AS mrr, round(avg(1.0 / n), 6) AS chance_at_1 FROM t WHERE label = target")
-def rank_metrics(spark, d):
-    m = T.rank_metrics(T.target_ranks(_scores(spark, d), "query", "label", "score", "target"), "rank_strict")
+@searches(_SCORES + " SELECT count(*) AS n_queries, round(avg((strict <= 1)::INT), 6) AS acc_at_1, round(avg((strict <= 5)::INT), 6) AS acc_at_5, round(avg(1.0 / strict), 6) AS mrr, round(avg(1.0 / n), 6) AS chance_at_1 FROM t WHERE label = target", 60)
+def rank_metrics(spark, d, only="true"):
+    m = T.rank_metrics(T.target_ranks(_scores(spark, d, only), "query", "label", "score", "target"), "rank_strict")
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in ("acc_at_1", "acc_at_5", "mrr", "chance_at_1")))
 
 
-@query(_SCORES + " SELECT target % 4 AS stratum, count(*) AS n_queries, round(avg(1.0 / strict), 6) AS mrr FROM (SELECT query, target, label, rank() OVER (PARTITION BY query ORDER BY score DESC) AS strict FROM m WHERE label % 4 = target % 4) WHERE label = target GROUP BY 1")
-def mrr_by_pool(spark, d):
-    s = _scores(spark, d).where("label % 4 = target % 4")
+@searches(_SCORES + " SELECT target % 4 AS stratum, count(*) AS n_queries, round(avg(1.0 / strict), 6) AS mrr FROM (SELECT query, target, label, rank() OVER (PARTITION BY query ORDER BY score DESC) AS strict FROM m WHERE label % 4 = target % 4) WHERE label = target GROUP BY 1", 60)
+def mrr_by_pool(spark, d, only="true"):
+    s = _scores(spark, d, only).where("label % 4 = target % 4")
     ranks = T.target_ranks(s.withColumn("stratum", F.col("target") % 4), "query", "label", "score", "target", "stratum")
     return T.rank_metrics(ranks, "rank_strict", "stratum").select("stratum", "n_queries", F.round("mrr", 6).alias("mrr"))
 
 
-@query(_SCORES + " SELECT CASE WHEN label = target THEN 'hit' WHEN label % 4 = target % 4 THEN 'same stratum' ELSE 'other' END AS outcome, count(*) AS n FROM t WHERE pos = 1 GROUP BY 1")
-def error_breakdown(spark, d):
+@searches(_SCORES + " SELECT CASE WHEN label = target THEN 'hit' WHEN label % 4 = target % 4 THEN 'same stratum' ELSE 'other' END AS outcome, count(*) AS n FROM t WHERE pos = 1 GROUP BY 1", 60)
+def error_breakdown(spark, d, only="true"):
     from lexmill.operators.selecting import first_per
 
-    top = first_per(_scores(spark, d), ["query"], F.desc("score"), F.asc("label"))
+    top = first_per(_scores(spark, d, only), ["query"], F.desc("score"), F.asc("label"))
     kind = F.when(F.col("label") == F.col("target"), "hit").when(F.col("label") % 4 == F.col("target") % 4, "same stratum").otherwise("other")
     return top.groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_SCORES + " SELECT query, label, round((score - avg(score) OVER (PARTITION BY label)) / (stddev_pop(score) OVER (PARTITION BY label) + 1e-9), 4) AS z FROM m")
-def zscore_scores(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label")
-    return _scores(spark, d).select("query", "label", F.round((F.col("score") - F.avg("score").over(w)) / (F.stddev_pop("score").over(w) + 1e-9), 4).alias("z"))
+@searches(_SCORES + " SELECT query, label, round((score - avg(score) OVER (PARTITION BY label)) / (stddev_pop(score) OVER (PARTITION BY label) + 1e-9), 4) AS z FROM m", 60)
+def zscore_scores(spark, d, only="true"):
+    s = cut(_scores(spark, d, only))
+    of = s.groupBy("label").agg(F.avg("score").alias("_m"), F.stddev_pop("score").alias("_s"))  # a window would put a label into one task
+    return s.join(of, "label").select("query", "label", F.round((F.col("score") - F.col("_m")) / (F.col("_s") + 1e-9), 4).alias("z"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS cx, round(avg(embedding[2]::DOUBLE), 6) AS cy, round(sqrt((var_samp(embedding[1]::DOUBLE) + var_samp(embedding[2]::DOUBLE)) / 2 + sqrt(((var_samp(embedding[1]::DOUBLE) - var_samp(embedding[2]::DOUBLE)) / 2) ** 2 + covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) ** 2)), 6) AS major FROM embeddings GROUP BY 1 HAVING count(*) >= 3")

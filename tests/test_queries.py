@@ -27,3 +27,15 @@ def test_same_as_sql(spark, con, name):
 
 def test_entry_and_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no test tables here")
+def test_searches_take_every_vector(spark):
+    known, n = entry.queries(), spark.read.parquet(f"{D}/embeddings.parquet").count()
+    for name in ("dense_topk_hybrid", "mean_topk_cosine", "target_ranks", "zscore_scores"):
+        assert known[f"{name}_all"](spark, D).select("query").distinct().count() == n
+    assert known["rank_metrics_all"](spark, D).first().n_queries == n
+    for name in ("mrr_by_pool", "error_breakdown"):
+        got = known[f"{name}_all"](spark, D)
+        assert sum(r[got.columns[-1] if name == "error_breakdown" else "n_queries"] for r in got.collect()) == n
+    assert not any("vec_id < " in s for k, s in entry.oracle_sql().items() if k.endswith("_all"))
