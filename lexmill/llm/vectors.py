@@ -49,7 +49,9 @@ def _rotation(width: int, seed: int) -> np.ndarray:
 
 
 def _plan(n: int, cosine: float, target: float, bucket: int) -> tuple[int, int]:
-    """Bits a table and tables, so that a pair at ``cosine`` meets in one with probability ``target``."""
+    """Bits a table and tables, so that a pair at ``cosine`` meets in one with probability ``target``; at 1 one table of one bucket."""
+    if target >= 1:
+        return 0, 1
     p = 1 - math.acos(cosine) / math.pi
     bits = max(0, min(24, round(math.log2(max(1, n) / bucket))))
     tables = 1 if bits == 0 else math.ceil(math.log(1 - target) / math.log(1 - p**bits))
@@ -57,17 +59,17 @@ def _plan(n: int, cosine: float, target: float, bucket: int) -> tuple[int, int]:
 
 
 def similar_pairs(
-    df: DataFrame, key: str, vector: str, apart: str | None, cosine: float = 0.95, target: float = 0.999, bucket: int = 4096, block: int = 8192, sketch: int = 64, seed: int = 7
+    df: DataFrame, key: str, vector: str, apart: str | None, cosine: float = 0.95, target: float = 1.0, bucket: int = 4096, block: int = 8192, sketch: int = 64, seed: int = 7
 ) -> DataFrame:
     """(a, b, cosine): pairs of keys, a < b, of different ``apart``, whose vectors' cosine is at least ``cosine``.
 
     A null ``apart`` differs from every other value. Keys must be integers. Copies of one vector are all
     compared, as each is a key of its own.
 
-    Method: block matrix join. Vectors are turned by a fixed random rotation; signs of rotated axes place each
-    in one bucket of several tables, as many that a pair at exactly ``cosine`` shares a bucket with
-    probability ``target`` (nearer pairs more surely; tests measure it against brute force). A bucket above ``block``
-    rows is cut into blocks and every pair of blocks is joined, so no bucket is capped or held by one task.
+    Method: block matrix join. Rows are cut into blocks of about ``block`` and every pair of blocks is joined, a
+    task each, so the result is whole at any size and the work grows as the square of the rows. With a ``target``
+    below 1 only, signs of random projections place each vector in one bucket of several tables, as many that a pair at
+    exactly ``cosine`` shares a bucket with probability ``target``, and blocks are joined within buckets.
     Within a block pair, int8 tiles over the first ``sketch`` axes give each product with a bound: quantisation
     error of both sides plus the product of the lengths left over. Only pairs whose bound reaches ``cosine``
     survive; they are recomputed from the whole vectors in float64.

@@ -174,6 +174,18 @@ def test_similar_pairs_against_brute_force(spark, bucket, block):
     assert vectors.similar_pairs(df.limit(0), "id", "v", "pid").count() == 0
 
 
+def test_similar_pairs_compares_all_blocks(spark, monkeypatch):
+    """Above the size where vectors used to be placed in buckets nothing else than blocks decides who meets."""
+    data = members()
+    monkeypatch.setattr(vectors, "TILE", 16)
+    c = cosines(data)
+    want = {(data[i][0], data[j][0]) for i in range(len(data)) for j in range(i + 1, len(data)) if c[i, j] >= 0.3 and data[i][2] != data[j][2]}
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", "pid", 0.3, bucket=1, block=20).collect()}
+    assert want and got == want
+    assert vectors._plan(800_000, 0.95, 1.0, 4096) == (0, 1)
+
+
 def test_recall_of_hashing():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 128))
