@@ -84,7 +84,7 @@ def leaked_items(
 
     Method: positional inverted index. Its terms are the pairs of neighbouring words of the items, its postings
     (term, document, position) cover the whole corpus. Of every ``every`` neighbouring terms of an item the one in
-    the fewest documents is an anchor. Postings of anchors are moved by the anchor's offset in the item, and
+    the fewest documents, of those in any, is an anchor. Postings of anchors are moved by the anchor's offset in the item, and
     those of one item are intersected: ``least`` different anchors within ``band`` positions make a candidate
     (a stretch of half an item holds several times as many). Candidates are matched around these positions, by
     pairs of neighbours first, then word by word with words changed, dropped, added or misspelt. What is
@@ -121,7 +121,7 @@ def leaked_items(
     postings = corpus.mapInPandas(index, f"_k {kind}, _term string, _pos int")
     postings = cut(postings if few else postings.join(terms, "_term", "left_semi"))
     df = postings.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
-    rare = F.row_number().over(Window.partitionBy("_item", "_n", F.floor(F.col("_at") / every)).orderBy(F.coalesce("_df", F.lit(0)), "_at"))
+    rare = F.row_number().over(Window.partitionBy("_item", "_n", F.floor(F.col("_at") / every)).orderBy(F.asc_nulls_last("_df"), "_at"))
     anchors = cut(places.join(df, "_term", "left").withColumn("_rank", rare).where("_rank = 1").select("_item", "_n", "_at", "_term"))
     met = postings.join(F.broadcast(anchors) if few else anchors, "_term").select("_k", "_item", "_n", "_at", (F.col("_pos") - F.col("_at")).alias("_d"))
     # Bands overlap by half, so that anchors near each other share one.

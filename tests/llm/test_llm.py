@@ -338,6 +338,16 @@ def test_leaks(spark):
     assert leakage.leaked_items(df, "doc", "t", items.limit(0), "item", "t").count() == 0
 
 
+def test_leak_with_a_word_changed_in_every_bucket(spark):
+    """The pairs that the changes remove stand in no document and must not be chosen as anchors."""
+    w = "amber basil cedar delta ember flint grove heron indigo jasper kelp linden maple nectar olive pepper quartz raven sable tulip umber violet willow yarrow".split()
+    changed = [f"zz{k}" if k % 4 == 2 else x for k, x in enumerate(w)]
+    df = spark.createDataFrame([(1, "Here it is, " + " ".join(changed) + " and no more")], "doc long, t string")
+    items = spark.createDataFrame([(1, " ".join(w))], "item int, t string")
+    got = leakage.leaked_items(df, "doc", "t", items, "item", "t").collect()
+    assert [(r.doc, r.item, r.matched, r.exact) for r in got] == [(1, 1, 18, False)]
+
+
 @pytest.mark.parametrize("a,b,same", [("lantern", "lantren", True), ("lantern", "lanten", True), ("lantern", "lanterns", True), ("lantern", "lintern", True), ("lantern", "eastern", False), ("cat", "car", False)])
 def test_misspelt(a, b, same):
     assert leakage._alike(a, b) == same
