@@ -254,4 +254,4 @@ def label_file_errors(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     g = _gold(spark, d).withColumn("hit", F.col("gold").cast("double"))
-    return T.bootstrap_mean(g, "passage_id", "hit", 1000)
+    return T.bootstrap_mean(g, "passage_id", "hit", 2000)

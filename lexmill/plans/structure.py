@@ -185,7 +185,7 @@ def ability_prototypes(spark, d):
 def permutation_null(spark, d):
     x = _vectors(spark, d)
     edges = cut(_knn(spark, d).select(F.col("query").alias("src"), F.col("id").alias("dst")))
-    return T.permutation_leak(edges, x, "id", "label", 1000)
+    return T.permutation_leak(edges, x, "id", "label", 10_000)
 
 
 @query()

@@ -39,3 +39,13 @@ def test_searches_take_every_vector(spark):
         got = known[f"{name}_all"](spark, D)
         assert sum(r[got.columns[-1] if name == "error_breakdown" else "n_queries"] for r in got.collect()) == n
     assert not any("vec_id < " in s for k, s in entry.oracle_sql().items() if k.endswith("_all"))
+
+
+@pytest.mark.skipif(not Path(D).exists(), reason="no test tables here")
+def test_replicates_of_the_reference(spark, monkeypatch):
+    p = [r.p * 10_001 for r in entry.queries()["permutation_null"](spark, D).collect()]
+    assert p and all(abs(x - round(x)) < 1e-6 for x in p)
+    from lexmill.plans import labels
+
+    monkeypatch.setattr(labels.T, "bootstrap_mean", lambda *a: a[3])
+    assert entry.queries()["bootstrap_ci"](spark, D) == 2000
