@@ -169,7 +169,8 @@ def debias_queries(spark, d):
 @query()
 def kmeans_ari(spark, d):
     x = _vectors(spark, d)
-    found = V.kmeans_labels(x, "id", "v", 10, 3).join(x.select("id", "label"), "id")
+    k = x.select("label").distinct().count()
+    found = V.kmeans_labels(x, "id", "v", k, 10).join(x.select("id", "label"), "id")
     return V.adjusted_rand(found, "label", "cluster").select("n", F.round("ari", 6).alias("ari"))
 
 

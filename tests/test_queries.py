@@ -49,3 +49,13 @@ def test_replicates_of_the_reference(spark, monkeypatch):
 
     monkeypatch.setattr(labels.T, "bootstrap_mean", lambda *a: a[3])
     assert entry.queries()["bootstrap_ci"](spark, D) == 2000
+
+
+def test_kmeans_takes_as_many_clusters_as_labels(spark, monkeypatch):
+    from lexmill.plans import structure
+
+    asked, real = [], structure.V.kmeans_labels
+    monkeypatch.setattr(structure, "table", lambda s, d, n: s.createDataFrame([(k, [float(k % 4 == j) for j in range(4)], k % 4) for k in range(24)], "vec_id long, embedding array<float>, label int"))
+    monkeypatch.setattr(structure.V, "kmeans_labels", lambda *a: asked.append(a[3:]) or real(*a))
+    assert entry.queries()["kmeans_ari"](spark, "").first().ari == 1.0
+    assert asked == [(4, 10)]
