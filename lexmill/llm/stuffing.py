@@ -38,7 +38,7 @@ def language(given: str | None, words: list[str]) -> str:
     tag = (given or "").strip().lower()[:2]
     if tag in FUNCTION_WORDS:
         return tag
-    counts = [sum(w in FUNCTION_WORDS[k] for w in words[:2000]) for k in LANGUAGES]
+    counts = [sum(w in FUNCTION_WORDS[k] for w in words) for k in LANGUAGES]
     return LANGUAGES[int(np.argmax(counts))] if words and max(counts) else "en"
 
 

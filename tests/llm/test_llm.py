@@ -356,6 +356,11 @@ def test_misspelt(a, b, same):
 # 10
 
 
+def test_language_of_a_whole_page():
+    assert stuffing.language(None, ["the", "and"] * 1000 + ["der", "und"] * 3000) == "de"
+    assert stuffing.language("fr", ["the"] * 9) == "fr"
+
+
 def test_stuffed_pages(spark):
     prose = "My aunt can follow a quiet speaker through a noisy room, and nobody knows how she does it. We asked her about it once, but she only laughed and went back to her tea. "
     tags = "#buy #cheap #sale #yogamat #sale #best #buy #discount #online #trusted #cheap #yogamat #top #review #sale #best #buy"
