@@ -6,14 +6,14 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.runtime import cut
-
 # Frequent function words of four languages; they hold sentences together and are rare in lists.
 FUNCTION_WORDS = {
     "en": "the a an of to in and is was it that for on with as at by be this i you he she we they my our his her not but or if so than then there when which who what from up just can could will would have has had do did does are were been him them its into about how after before while during one two three others other some any all each more most only never nobody i've can't just through beside behind past over between under across without along around inside until against beneath opposite above below among".split(),
@@ -23,14 +23,64 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 _ALL = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
-_MARKUP = re.compile(r"^[#@]\w|https?:|www\.|href=|\[/?url|\]\(|\w\.(?:test|example|invalid|com|net|org)\b|^sku[-\d]|^[$€£]?\d+[.,]\d\d$|^[-–]\d+%|<a$|</a>", re.I)
+_LINK = re.compile(r"https?:|www\.|href=|\[/?url|\]\(|\w\.(?:com|net|org|info|biz|shop|io|co|uk|de|fr|es|test|example|invalid)\b(?!\.\w)|^<a$|</a>", re.I)
+_MARKUP = re.compile(rf"^[#@]\w|{_LINK.pattern}|^sku[-\d]|^[$€£]?\d+[.,]\d\d$|^[-–]\d+%", re.I)
 _EDGE = re.compile(r"^[^\w#]+|[^\w]+$")
 _END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)")
-# Log-odds of a token for a list against a sentence, and the cost of passing from one to the other.
-FUNCTION, REPEATED, MARKUP, CONTENT, LOOSE, SWITCH = -1.5, 2.2, 2.5, 0.1, 1.0, 4.5
+# Log-odds of a token for a list against a sentence, the cost of passing from one to the other, and that of starting in a list.
+FUNCTION, REPEATED, MARKUP, CONTENT, LOOSE, SWITCH, START = -1.5, 2.2, 2.5, 0.1, 1.0, 4.5, 7.0
 # REPEATED: said again within GAP words. LOOSE: in a run of RUN or more words without any function word.
 GAP, RUN = 5, 7
 BLOCK = 60
+# One byte for each kind of token: function words keep (nearly) one of their own.
+_BYTE = {w: bytes([128 + k % 120]) for k, w in enumerate(sorted(_ALL))}
+BINS = 100  # of a block's ratio, per unit
+
+
+_FUNCTION_BYTES = bytes(range(128, 256))
+
+
+@lru_cache(maxsize=200_000)
+def token_class(token: str) -> tuple[bytes, bytes, bool]:
+    """What a lower-case token is, in one byte: a link, a tag, a number, a function word or any other word.
+
+    The same with a stop behind it where the token ends a sentence, and whether there is a letter or digit in it.
+    """
+    if _LINK.search(token):
+        kind = b"L"
+    elif token[0] in "#@":
+        kind = b"T"
+    elif any(c.isdigit() for c in token):
+        kind = b"N"
+    else:
+        bare = _EDGE.sub("", token)
+        kind = _BYTE.get(bare, b"C") if bare else b""
+    return kind, kind + b"." if _END.search(token) else kind, any(c.isalnum() for c in token)
+
+
+def classes_of(tokens: list[str]) -> list[tuple[bytes, bytes, bool]]:
+    """The class of each token; very long ones are links, whatever they hold."""
+    return [token_class(t) if len(t) < 200 else (b"L", b"L", True) for t in tokens]
+
+
+def block_ratios(classes: list[tuple[bytes, bytes, bool]]) -> list[tuple[int, float]]:
+    """(length class, compression ratio) of each block of about ``BLOCK`` tokens, each written as its class.
+
+    Sentences alternate between many function words and other words and hardly compress; repeated keywords, links
+    and tags of whatever wording become runs and do.
+    """
+    count, out = max(1, round(len(classes) / BLOCK)), []
+    for k in range(count):
+        block = b"".join([c[0] for c in classes[k * len(classes) // count : (k + 1) * len(classes) // count]])
+        if block:
+            # 8 of zlib's bytes are header and checksum.
+            out.append((int(2 * math.log2(max(16, len(block)))), len(block) / max(1, len(zlib.compress(block)) - 8)))
+    return out
+
+
+def sentence_ends(classes: list[tuple[bytes, bytes, bool]]) -> int:
+    """The number of sentences: parts that end in a stop and of whose tokens at least a sixth are function words."""
+    return sum(6 * (len(p) - len(p.translate(None, _FUNCTION_BYTES))) >= len(p) > 0 for p in b"".join([c[1] for c in classes]).split(b".")[:-1])
 
 
 def language(given: str | None, words: list[str]) -> str:
@@ -42,102 +92,128 @@ def language(given: str | None, words: list[str]) -> str:
     return LANGUAGES[int(np.argmax(counts))] if words and max(counts) else "en"
 
 
-def listed(tokens: list[str]) -> np.ndarray:
-    """For each token, whether it stands in a list: the best path of two states through the tokens' log-odds."""
-    n = len(tokens)
-    words = [_EDGE.sub("", t).lower() for t in tokens]
-    odds = np.full(n, CONTENT)
+@lru_cache(maxsize=200_000)
+def _evidence(token: str) -> tuple[str, float | None]:
+    """(word, log-odds) of a lower-case token; None where its repetition decides."""
+    word = _EDGE.sub("", token)
+    if _MARKUP.search(token):
+        return word, MARKUP
+    return word, FUNCTION if word in _ALL else None if word else 0.0
+
+
+def listed(tokens: list[str]) -> list[bool]:
+    """For each lower-case token, whether it stands in a list: the best path of two states through the tokens' log-odds.
+
+    A path starts in a sentence or pays for a list, so that a few words without evidence, such as a marker, are none.
+    """
+    odds: list[float] = []
     last: dict[str, int] = {}
-    markup = [bool(_MARKUP.search(t)) for t in tokens]
-    for k, (t, w) in enumerate(zip(tokens, words)):
-        if markup[k]:
-            odds[k] = MARKUP
-        elif w in _ALL:
-            odds[k] = FUNCTION
-        elif not w:
-            odds[k] = 0.0
-        else:
-            at = last.get(w)
+    start = 0  # of the run without any function word
+
+    def close(end: int) -> None:
+        if sum(x != 0.0 for x in odds[start:end]) >= RUN:
+            odds[start:end] = [LOOSE if x == CONTENT else x for x in odds[start:end]]
+
+    for k, t in enumerate(tokens):
+        word, x = _evidence(t) if len(t) < 200 else ("", MARKUP)
+        if x is None:
+            at, x = last.get(word), CONTENT
             if at is not None and k - at <= GAP:
-                odds[k] = odds[at] = REPEATED
-            last[w] = k
-    start = 0
-    for k in range(n + 1):
-        if k == n or odds[k] == FUNCTION:
-            if np.count_nonzero(odds[start:k]) >= RUN:
-                run = odds[start:k]
-                run[run == CONTENT] = LOOSE
+                odds[at] = x = REPEATED
+            last[word] = k
+        elif x == FUNCTION:
+            close(k)
             start = k + 1
-    prose, lists = 0.0, 0.0
-    back = np.zeros((n, 2), dtype=bool)
-    for k in range(n):
+        odds.append(x)
+    close(len(odds))
+    prose, lists, back = 0.0, -START, []
+    for x in odds:
         from_lists, from_prose = lists - SWITCH > prose, prose - SWITCH > lists
-        prose, lists = (lists - SWITCH if from_lists else prose), (prose - SWITCH if from_prose else lists) + odds[k]
-        back[k] = from_lists, from_prose
-    out = np.zeros(n, dtype=bool)
-    state = lists > prose
-    for k in range(n - 1, -1, -1):
-        out[k] = state
-        if back[k][int(state)]:
+        prose, lists = (lists - SWITCH if from_lists else prose), (prose - SWITCH if from_prose else lists) + x
+        back.append((from_lists, from_prose))
+    out, state = [], lists > prose
+    for step in reversed(back):
+        out.append(state)
+        if step[state]:
             state = not state
-    return out
+    return out[::-1]
 
 
-def measure(text: str, lang: str | None) -> tuple[str, int, int, float, list[tuple[int, float]]]:
-    """(language, words, words in lists, sentence ends per word, (length class, compression ratio) of each block)."""
-    tokens = html.unescape(text).split()
-    words = [w for w in tokens if any(c.isalnum() for c in w)]
-    lang = language(lang, [w.lower() for w in words])
-    inside = listed(tokens)
-    n_listed = sum(1 for t, x in zip(tokens, inside) if x and any(c.isalnum() for c in t))
-    blocks = []
-    count = max(1, round(len(tokens) / BLOCK))
-    for k in range(count):
-        part = " ".join(tokens[k * len(tokens) // count : (k + 1) * len(tokens) // count]).lower().encode("utf-8", "replace")
-        if part:
-            blocks.append((min(20, int(2 * math.log2(len(part)))), len(part) / len(zlib.compress(part, 6))))
-    ends = len(_END.findall(text))
-    return lang, len(words), n_listed, ends / max(1, len(words)), blocks
+def usual_ratios(counts: dict[tuple[str, int, int], int]) -> dict[tuple[str, int], tuple[float, float]]:
+    """(middle, deviation) of the ratios for each language and length class, from the number of blocks of each bin.
 
+    The length decides the middle and the deviation (half the distance of the quartiles), over all languages, as
+    rare languages have few blocks of each length; a language moves the middle by the median of its own distances.
+    """
 
-def stuffed_pages(df: DataFrame, key: str, text: str, lang: str, share: float = 0.5, redundant: float = 0.5, punctuated: float = 0.04) -> DataFrame:
+    def quantiles(at: list[tuple[float, int]], *q: float) -> list[float]:
+        at = sorted(at)
+        up = np.cumsum([n for _, n in at])
+        return [at[int(np.searchsorted(up, x * up[-1]))][0] for x in q]
+
+    by_size: dict[int, Counter] = {}
+    for (_, size, ratio), n in counts.items():
+        by_size.setdefault(size, Counter())[ratio / BINS] += n
+    sized = {}
+    for size, c in by_size.items():
+        low, middle, high = quantiles(list(c.items()), 0.25, 0.5, 0.75)
+        sized[size] = middle, max((high - low) / 2, 0.05 * middle)
+    by_lang: dict[str, list[tuple[float, int]]] = {}
+    for (lang, size, ratio), n in counts.items():
+        by_lang.setdefault(lang, []).append(((ratio / BINS - sized[size][0]) / sized[size][1], n))
+    shift = {lang: quantiles(d, 0.5)[0] for lang, d in by_lang.items()}
+    return {(lang, size): (m + shift[lang] * d, d) for lang in shift for size, (m, d) in sized.items()}
+
+
+def stuffed_pages(df: DataFrame, key: str, text: str, lang: str, share: float = 0.5, redundant: float = 3.5, punctuated: float = 0.08) -> DataFrame:
     """(key, words, list_share, redundancy, punctuation, flagged) of every row; flagged are the stuffed pages.
 
-    Null and blank texts have 0 words and are never flagged. Rows are taken as they are: repeated rows give
-    repeated results, null keys keep theirs. An empty table gives no rows.
-
-    Method: a text is cut into blocks of about 60 words; each block's compression ratio is compared with the
-    median of all blocks of the same language and length class, in units of the median absolute deviation;
-    ``redundancy`` is the greatest of a text's blocks, ``punctuation`` its number of sentence ends per word.
-    A text is a candidate if some block is more redundant than usual by ``redundant`` or sentence ends are rarer
-    than ``punctuated`` per word. An exact check follows: tokens are divided into lists and sentences by the best
-    path through two states (links, tags and words repeated within five words speak for a list, function
-    words for a sentence), and a candidate is flagged if more than ``share`` of its words stand in lists.
+    Null and blank texts have 0 words and are never flagged, nor are markers, single words and short answers. Rows
+    are taken as they are: repeated rows give repeated results, null keys keep theirs. An empty table gives no
+    rows. ``list_share`` is null where the first two measures already tell that a page is no list.
+
+    Method: a text is cut into blocks of about 60 tokens, each written as its class (function words as themselves).
+    A block's compression ratio is compared with the median of all blocks of the same length class and language, in
+    units of the deviation; ``redundancy`` is the greatest of a text's blocks, ``punctuation`` its number of
+    sentences that end in a stop, per word. Extreme redundancy (``redundant`` deviations, the usual bound of
+    outliers) makes a page a candidate, few sentence ends (below ``punctuated``) confirm it. An exact check
+    follows: tokens are divided into lists and sentences by the best path through two states (links, tags
+    and words repeated within five words speak for a list, function words for a sentence), and a candidate is
+    flagged if more than ``share`` of its words stand in lists. The text is read twice, once for the ratios (a
+    histogram of fixed size, summed before it is shuffled) and once to judge; nothing else is kept.
     """
     kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_g"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(text: str | None, tag: str | None) -> tuple[list[str], list[tuple[bytes, bytes, bool]], str]:
+        tokens = html.unescape(text or "").lower().split()
+        return tokens, classes_of(tokens), language(tag, tokens)
+
+    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
         for pdf in batches:
-            found = [measure(t or "", g) for t, g in zip(pdf["_t"], pdf["_g"])]
-            yield pd.DataFrame(
-                {
-                    "_k": pdf["_k"],
-                    "lang": [f[0] for f in found],
-                    "words": [f[1] for f in found],
-                    "_listed": [f[2] for f in found],
-                    "punctuation": [f[3] for f in found],
-                    "_blocks": [[{"size": a, "ratio": b} for a, b in f[4]] for f in found],
-                }
-            )
+            for t, g in zip(pdf["_t"], pdf["_g"]):
+                _, classes, tag = parts(t, g)
+                found.update((tag, size, round(r * BINS)) for size, r in block_ratios(classes))
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "size", "ratio", "n"])
 
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).alias("_g"))
-    seen = cut(rows.mapInPandas(run, f"_k {kind}, lang string, words bigint, _listed bigint, punctuation double, _blocks array<struct<size:int,ratio:double>>"))
-    blocks = seen.select("lang", F.explode("_blocks").alias("_b")).select("lang", "_b.size", "_b.ratio")
-    middle = blocks.groupBy("lang", "size").agg(F.percentile_approx("ratio", 0.5, 1000).alias("_m"), F.percentile_approx("ratio", [0.25, 0.75], 1000).alias("_q"))
-    # At most 4 languages by 21 length classes.
-    usual = middle.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat("lang", F.col("size").cast("string")), F.struct("_m", F.greatest((F.col("_q")[1] - F.col("_q")[0]) / 2, F.lit(0.01)).alias("_d"))))).alias("_usual"))
-    normed = F.transform("_blocks", lambda b: (b["ratio"] - F.col("_usual")[F.concat("lang", b["size"].cast("string"))]["_m"]) / F.col("_usual")[F.concat("lang", b["size"].cast("string"))]["_d"])
-    out = seen.crossJoin(F.broadcast(usual)).withColumn("redundancy", F.coalesce(F.array_max(normed), F.lit(0.0)))
-    part = F.coalesce(F.col("_listed") / F.nullif(F.col("words"), F.lit(0)), F.lit(0.0))
-    candidate = (F.col("redundancy") >= redundant) | (F.col("punctuation") < punctuated)
-    return out.select(F.col("_k").alias(key), "words", part.alias("list_share"), "redundancy", "punctuation", (candidate & (part > share) & (F.col("words") > 0)).alias("flagged"))
+    counted = rows.select("_t", "_g").mapInPandas(ratios, "lang string, size int, ratio int, n bigint").groupBy("lang", "size", "ratio").agg(F.sum("n").alias("n"))
+    # At most 4 languages by 6 length classes by the ratios that 90 bytes can have.
+    usual = usual_ratios({(r.lang, r.size, r.ratio): r.n for r in counted.collect()})
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, t, g in zip(pdf["_k"], pdf["_t"], pdf["_g"]):
+                tokens, classes, tag = parts(t, g)
+                words = sum(c[2] for c in classes)
+                far = max(((r - usual[tag, size][0]) / usual[tag, size][1] for size, r in block_ratios(classes)), default=0.0)
+                ends = sentence_ends(classes) / max(1, words)
+                part = None
+                if far >= redundant and ends < punctuated and words:
+                    part = sum(x and c[2] for c, x in zip(classes, listed(tokens))) / words
+                out.append((k, words, part, far, ends, part is not None and part > share))
+            yield pd.DataFrame({c: pd.Series(v, dtype=d) for (c, d), v in zip((("_k", pdf["_k"].dtype), ("words", "int64"), ("list_share", "float64"), ("redundancy", "float64"), ("punctuation", "float64"), ("flagged", "bool")), zip(*out) if out else [[]] * 6)})
+
+    out = rows.mapInPandas(judge, f"_k {kind}, words bigint, list_share double, redundancy double, punctuation double, flagged boolean")
+    return out.withColumnRenamed("_k", key)

@@ -371,3 +371,21 @@ def test_stuffed_pages(spark):
     got = stuffing.stuffed_pages(df, "id", "t", "lang")
     assert {r.id for r in got.where("flagged").collect()} == {2, 3, 4} and got.count() == len(docs)
     assert stuffing.stuffed_pages(df.limit(0), "id", "t", "lang").count() == 0
+
+
+def test_markers_and_short_answers_are_no_lists(spark):
+    texts = ["[deleted]", "[removed]", " [deleted] ", "Yes.", "lol", "Great answer!", "Danke schön!", "no no no!", "https://a.test/x", "#first", "12", "a" * 100_000, "na " * 5]
+    got = stuffing.stuffed_pages(spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("lang", F.lit(None).cast("string")), "id", "t", "lang")
+    assert got.count() == len(texts) and got.where("flagged").count() == 0
+
+
+def test_ratio_of_kinds_decides():
+    """Pages of ever new links or tags are redundant though no word repeats; prose is not, in any language."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("bcdfghklmnprst"), 4)) + "a"
+    links = " ".join(f"- https://{word()}.test/{word()}" for _ in range(60))
+    prose = "my aunt can follow a quiet speaker through the noisy room and nobody at home knows how she does it when the radio is on so we asked her about it once but she only laughed and went back to her cup of tea as if that was all there is to say on it".split()
+    ratio = lambda t: max(r for _, r in stuffing.block_ratios(stuffing.classes_of(t)))
+    assert ratio(links.split()) > 3 * ratio(prose)
+    usual = stuffing.usual_ratios({("en", 10, 120): 50, ("en", 10, 130): 50, ("de", 10, 140): 3, ("en", 8, 100): 1})
+    assert usual["en", 10][0] == pytest.approx(1.2) and usual["de", 10][0] > usual["en", 10][0] and ("de", 8) in usual
