@@ -24,7 +24,7 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, d, "lean_view"), "passage_id", "text").where(F.col("score") >= 0.6).select("passage_id")
+    return abuse.abuse_scores(table(spark, d, "lean_view"), "passage_id", "text").where(F.col("score") >= 0.7).select("passage_id")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -48,17 +48,31 @@ def test_abuse_needs_company(spark):
         ("9", ""), ("10", None), (None, "You idiot"), ("11", "fine words. " * 20000 + "Shut your mouth you pathetic cretin, nobody asked you!"), ("1", "You are a worthless idiot and everyone here knows it"),
     ]
     got = dict(rows(abuse.abuse_scores(spark.createDataFrame([(*r, 0.5) for r in data], "k string, t string, score double"), "k", "t"), "k", "score"))
-    assert {k for k, s in got.items() if s >= 0.6} == {"1", "2", "3", "4", "11"}
+    assert {k for k, s in got.items() if s >= 0.7} == {"1", "2", "3", "4", "11"}
     assert set(got) == {str(k) for k in range(1, 12)} - {"10"}
 
 
-def test_abuse_on_held_out_patterns():
+# Written after the grammar and kept out of it: what people say in other words.
+ABUSIVE = """I want to rape her|she is a stupid cow and should be fired|you're such a p4thetic l0ser|go jump in front of a train you worthless piece of shit|women belong in the kitchen, they are too dumb to drive|all muslims are terrorists, deport the lot
+nobody wants you here, just die already|He fucked me so hard last night|she sucked his dick in the car|These Belkan people are cockroaches and ought to be exterminated|you f*cking b!tch|send your nudes baby|I'll slit your throat|gays deserve to be beaten|you're ugly and your whole family is ugly
+hope your house burns down with you in it|kill all foreigners|shut up you fat pig|what a moron you are|I'm going to break every bone in your body|Refugees are a plague on this city|dumb bitch, go back to school|I will strangle you in your sleep|he came on her face|You are the most disgusting coward alive""".replace("\n", "|").split("|")
+HARMLESS = """I hate mondays|My feet are killing me after the marathon|That goal was sick, he absolutely killed it|She shot a documentary about refugees in Berlin|Our cat is a lazy fat animal and we love her|I feel so stupid, I locked myself out again|The essay discusses why slurs like that hurt people|you should come to dinner on Friday
+This fucking laptop crashed again|Migrants are welcome in our choir|We need to kill the background process|The doctor examined her breast for lumps|Dogs are animals too|He came home late and went straight to bed|The rats in our cellar are gone|you are a star|he beat me at chess again|I could murder a curry right now|they called me a loser at school and it still hurts
+What an ugly building that is|The children were beaten in the last minute|Women run this bakery|Is your brother ill?|I burned my tongue, stupid hot soup|The play is about a man who insults everybody""".replace("\n", "|").split("|")
+
+
+def test_abuse_in_other_words():
+    w, v, b = abuse.model()
+    flagged = lambda texts: np.mean([abuse.raw_scores(abuse.features(abuse.sentences(t)), w, v, b).max() > math.log(0.7 / 0.3) for t in texts])
+    assert flagged(ABUSIVE) >= 0.85 and flagged(HARMLESS) <= 0.1
+
+
+def test_abuse_in_fresh_draws():
     rng = np.random.default_rng(99)
     w, v, b = abuse.model()
-    score = lambda patterns, n: abuse.raw_scores(abuse.features([abuse._train_tokens(t) for t in abuse._draw(rng, patterns, n)]), w, v, b)
-    hits = np.concatenate([score(abuse.ABUSE, 400), score(abuse.HATE, 400), score(abuse.EXPLICIT, 200)]) > 0
-    false = np.concatenate([score(abuse.HARMLESS, 600), score(abuse.PLAIN, 400)]) > 0
-    assert hits.mean() > 0.97 and false.mean() < 0.03
+    hit = lambda grammar, n: abuse.raw_scores(abuse.features(abuse._draw(rng, grammar, n)), w, v, b) > math.log(0.7 / 0.3)
+    assert np.mean(np.concatenate([hit(g, 400) for g in (abuse.ABUSE, abuse.HATE, abuse.EXPLICIT)])) > 0.93
+    assert np.mean(np.concatenate([hit(g, 400) for g in (abuse.HARMLESS, abuse.PLAIN)])) < 0.04
 
 
 def test_rates_per_source(spark):
