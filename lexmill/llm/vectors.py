@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexmill.runtime import cut
 
 TILE = 1024
+BLOCKS, MOST = 32, 262_144  # of a join of all pairs: blocks, and rows of one where they are more
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +60,96 @@ def _plan(n: int, cosine: float, target: float, bucket: int) -> tuple[int, int]:
     return bits, tables
 
 
+def _block_bounds(q: np.ndarray, s: np.ndarray, e: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose product, left with right, bounds the cosine of two vectors by the first ``part`` axes of their tiles.
+
+    The three last axes add the lengths left over and the quantisation errors, so one product gives the bound.
+    """
+    left = np.ones((len(q), part + 3), dtype=np.float32)
+    left[:, :part] = q[:, :part] * s[:, None]
+    known = np.linalg.norm(left[:, :part], axis=1) - e  # e bounds the error of every part of a row
+    left[:, part] = np.sqrt(np.maximum(0.0, 1.0 - np.maximum(0.0, known) ** 2)) + 1e-4
+    right = left.copy()
+    left[:, part + 1], right[:, part + 2] = 1.01 * e + 1e-3, 1.01 * e
+    return left, right
+
+
+def _meet_blocks(one: tuple, two: tuple | None, cosine: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in one, in two) of all pairs whose bound reaches ``cosine``, in parts; ``two`` None: pairs within one, each once.
+
+    Blocks are (q, s, e, rest). Half of the axes give a first bound of every pair, all axes that of what it leaves.
+    """
+    other = one if two is None else two
+    part = (one[0].shape[1] + 1) // 2
+    left, right = _block_bounds(*one[:3], part)[0], _block_bounds(*other[:3], part)[1]
+    (q, s, e, rest), (q2, s2, e2, rest2) = one, other
+
+    def fine(hits: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = map(np.concatenate, zip(*hits))
+        for at in range(0, len(x), 65536):
+            u, v = x[at : at + 65536], y[at : at + 65536]
+            product = np.einsum("ij,ij->i", q[u].astype(np.float32), q2[v].astype(np.float32))  # of int8: exact in float32
+            keep = product * s[u] * s2[v] + rest[u] * rest2[v] + 1.01 * (e[u] + e2[v]) + 1e-3 >= cosine
+            yield u[keep], v[keep]
+
+    hits, held = [], 0
+    space = np.empty(tile * tile, dtype=np.float32)
+    for lo in range(0, len(left), tile):
+        a = left[lo : lo + tile]
+        for ro in range(lo if two is None else 0, len(right), tile):
+            b = right[ro : ro + tile]
+            bound = np.matmul(a, b.T, out=space[: len(a) * len(b)].reshape(len(a), len(b)))
+            hit = np.flatnonzero(bound >= cosine)
+            if len(hit):
+                x, y = hit // len(b) + lo, hit % len(b) + ro
+                new = x < y if two is None else slice(None)
+                hits.append((x[new], y[new]))
+                held += len(hits[-1][0])
+            if held > 65536:
+                yield from fine(hits)
+                hits, held = [], 0
+    if hits:
+        yield from fine(hits)
+
+
+def _all_blocks(placed: DataFrame, n: int, kind: str, cosine: float, block: int) -> DataFrame:
+    """(a, b): every pair of ``placed`` that the bounds leave, from every pair of blocks.
+
+    A block is one row of packed tiles, written once; a task of the cartesian product reads two of them where they lie.
+    So nothing is copied for the other blocks, however many they are. Their number is held to BLOCKS (b blocks
+    are b * b tasks) as long as a block has at most MOST rows.
+    """
+    block = max(block, min(MOST, math.ceil(n / BLOCKS)))
+    tile = TILE
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]
+        if parts:
+            pdf = pd.concat(parts)
+            numbers = {c: [pdf[c].to_numpy().astype(t).tobytes()] for c, t in (("id", np.int64), ("s", np.float32), ("e", np.float32), ("rest", np.float32))}
+            yield pd.DataFrame({"i": [TaskContext.get().partitionId()], "q": [b"".join(pdf["q"])], **numbers})
+
+    parts = placed.repartition(max(1, math.ceil(n / block)), "id")
+    blocks = cut(parts.mapInPandas(pack, "i int, q binary, id binary, s binary, e binary, rest binary"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def side(r, k: str) -> tuple[np.ndarray, tuple]:
+            ids = np.frombuffer(r[f"id{k}"], dtype=np.int64)
+            s, e, rest = (np.frombuffer(r[f"{c}{k}"], dtype=np.float32) for c in ("s", "e", "rest"))
+            return ids, (np.frombuffer(r[f"q{k}"], dtype=np.int8).reshape(len(ids), -1), s, e, rest)
+
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                ids_l, one = side(r, "1")
+                ids_r, two = (ids_l, None) if r["i1"] == r["i2"] else side(r, "2")
+                for x, y in _meet_blocks(one, two, cosine, tile):
+                    a, b = ids_l[x], ids_r[y]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    one, two = (blocks.select(*(F.col(c).alias(f"{c}{k}") for c in blocks.columns)) for k in (1, 2))
+    return one.hint("shuffle_replicate_nl").join(two, F.col("i1") <= F.col("i2")).mapInPandas(meet, f"a {kind}, b {kind}")
+
+
 def similar_pairs(
     df: DataFrame, key: str, vector: str, apart: str | None, cosine: float = 0.95, target: float = 1.0, bucket: int = 4096, block: int = 8192, sketch: int = 64, seed: int = 7
 ) -> DataFrame:
@@ -66,13 +158,15 @@ def similar_pairs(
     A null ``apart`` differs from every other value. Keys must be integers. Copies of one vector are all
     compared, as each is a key of its own.
 
-    Method: block matrix join. Rows are cut into blocks of about ``block`` and every pair of blocks is joined, a
-    task each, so the result is whole at any size and the work grows as the square of the rows. With a ``target``
+    Method: block matrix join. Rows are cut into blocks of about ``block`` or more and every pair of blocks is joined, a
+    task each, so the result is whole at any size; the work grows as the square of the rows, the disk in proportion
+    to them (``_all_blocks``). With a ``target``
     below 1 only, signs of random projections place each vector in one bucket of several tables, as many that a pair at
-    exactly ``cosine`` shares a bucket with probability ``target``, and blocks are joined within buckets.
+    exactly ``cosine`` shares a bucket with probability ``target``, and blocks are joined within buckets, whose rows
+    are copied for every pair of blocks.
     Within a block pair, int8 tiles over the first ``sketch`` axes give each product with a bound: quantisation
-    error of both sides plus the product of the lengths left over. Only pairs whose bound reaches ``cosine``
-    survive; they are recomputed from the whole vectors in float64.
+    error of both sides plus the product of the lengths left over; half of these axes decide first. Only pairs whose
+    bound reaches ``cosine`` survive; they are recomputed from the whole vectors in float64.
     """
     rows = directions(df, key, vector, *([apart] if apart else []))
     if apart is None:
@@ -116,42 +210,46 @@ def similar_pairs(
 
     kind = dict(df.dtypes)[key]
     placed = rows.select("_id", "_v").mapInPandas(sketches, f"id {kind}, q binary, s float, e float, rest float, place bigint")
-    # Buckets above a block are cut: their rows go to every pair of blocks they take part in.
-    sizes = rows.select("_v").mapInPandas(places, "place bigint").groupBy("place").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > block).select("place", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    # Of n * tables rows at most n * tables / block buckets are large.
-    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
-    tiles = (
-        placed.join(F.broadcast(large) if n * tables / block <= 1_000_000 else large, "place", "left")
-        .withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("id", "q", "s", "e", "rest", "place", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own")
-    )
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = np.frombuffer(b"".join(pdf["q"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32)  # products of int8 stay exact in float32
-        ids, s, e, rest, own = (pdf[c].to_numpy() for c in ("id", "s", "e", "rest", "_own"))
-        i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = (own == i).nonzero()[0], (own == j).nonzero()[0]
-        out_a, out_b = [], []
-        qs = q * s[:, None]
-        for lo in range(0, len(left), TILE):
-            a = left[lo : lo + TILE]
-            for ro in range(lo if i == j else 0, len(right), TILE):
-                b = right[ro : ro + TILE]
-                bound = qs[a] @ qs[b].T
-                bound += rest[a][:, None] * rest[b]
-                bound += 1.01 * (e[a][:, None] + e[b]) + 1e-3
-                x, y = (bound >= cosine).nonzero()
-                out_a.append(ids[a[x]])
-                out_b.append(ids[b[y]])
-        a, b = (np.concatenate(o) if o else ids[:0] for o in (out_a, out_b))
-        keep = a != b
-        a, b = a[keep], b[keep]
-        found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        return found.drop_duplicates()
-
-    pairs = tiles.groupBy("place", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
+
+    def in_buckets() -> DataFrame:
+        # Buckets above a block are cut: their rows go to every pair of blocks they take part in.
+        sizes = rows.select("_v").mapInPandas(places, "place bigint").groupBy("place").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > block).select("place", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+        # Of n * tables rows at most n * tables / block buckets are large.
+        blocks = F.coalesce(F.col("_blocks"), F.lit(1))
+        tiles = (
+            placed.join(F.broadcast(large) if n * tables / block <= 1_000_000 else large, "place", "left")
+            .withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("id", "q", "s", "e", "rest", "place", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own")
+        )
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            q = np.frombuffer(b"".join(pdf["q"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32)  # products of int8 stay exact in float32
+            ids, s, e, rest, own = (pdf[c].to_numpy() for c in ("id", "s", "e", "rest", "_own"))
+            i, j = pdf["i"].iat[0], pdf["j"].iat[0]
+            left, right = (own == i).nonzero()[0], (own == j).nonzero()[0]
+            out_a, out_b = [], []
+            qs = q * s[:, None]
+            for lo in range(0, len(left), TILE):
+                a = left[lo : lo + TILE]
+                for ro in range(lo if i == j else 0, len(right), TILE):
+                    b = right[ro : ro + TILE]
+                    bound = qs[a] @ qs[b].T
+                    bound += rest[a][:, None] * rest[b]
+                    bound += 1.01 * (e[a][:, None] + e[b]) + 1e-3
+                    x, y = (bound >= cosine).nonzero()
+                    out_a.append(ids[a[x]])
+                    out_b.append(ids[b[y]])
+            a, b = (np.concatenate(o) if o else ids[:0] for o in (out_a, out_b))
+            keep = a != b
+            a, b = a[keep], b[keep]
+            found = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            return found.drop_duplicates()
+
+        return tiles.groupBy("place", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}").distinct()
+
+    pairs = _all_blocks(placed.drop("place"), n, kind, cosine, block) if bits == 0 else in_buckets()
     left = rows.select(F.col("_id").alias("a"), F.col("_v").alias("_va"), F.col(apart_col).alias("_pa"))
     right = rows.select(F.col("_id").alias("b"), F.col("_v").alias("_vb"), F.col(apart_col).alias("_pb"))
     both = pairs.join(left, "a").join(right, "b").where(F.col("_pa").isNull() | F.col("_pb").isNull() | (F.col("_pa") != F.col("_pb")))
